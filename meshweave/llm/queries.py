@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, near_dedup, packing, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -30,5 +31,25 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged, with its counts."""
+    out = quality.quality(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are at least 80 % alike."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, a digest of the base spans, and all spans."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("base", name).alias(f"n_{name}") for name in secrets.KINDS[:3]]
+    return found.select("doc.doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("all")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_quality_rules, op5_minhash_near_dedup, op8_secret_scans)
+}
 ORACLES: dict[str, str] = {}
