@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: blank and \x09 to \x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Most bytes of Parquet files that are broadcast (they unfold to a few times as much); larger tables are shuffled.
+BROADCAST_BYTES = 4_000_000
+
 _own_scratch: list[str] = []
 
 
@@ -54,6 +57,14 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a table that lies in scratch: broadcast if its files' size is within bounds, else as Spark sees fit."""
+    jvm, conf = large.sparkSession._jvm, large.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(small.scratch_path)
+    size = path.getFileSystem(conf).getContentSummary(path).getLength()
+    return large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
+
+
 def barrier(df: DataFrame, **columns) -> DataFrame:
     """Add columns that later expressions use without computing them again (a one-row generator stops inlining)."""
     names = list(columns)

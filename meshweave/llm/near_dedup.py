@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, join_small, map_arrow
 from .linking import link_buckets
 
 #: 32 bands of 5 minima: a pair of similarity 0.8 shares no band once in 300,000, one of 0.2 shares one once in 100.
@@ -138,9 +138,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     def prepare(active: DataFrame) -> None:
         nodes = scratch.save(active.select("node").distinct())
         tables["signs"] = scratch.save(chosen.select("node", "row_key", "n_shingles", "signature").join(nodes, "node"))
-        texts = docs.join(tables["signs"].select("row_key", "node"), "row_key")
+        keys = scratch.save(tables["signs"].select("row_key", "node"))
+        texts = join_small(docs, keys, "row_key")
         tables["sets"] = scratch.save(full_sets(texts.select("node", "text"), width).dropDuplicates(["node"]))
-        scratch.drop(chosen, nodes)
+        scratch.drop(chosen, nodes, keys)
 
     def verify(pairs: DataFrame) -> DataFrame:
         signs, sets = tables["signs"], tables["sets"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality, secrets
+from . import bpe, line_dedup, near_dedup, packing, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -42,6 +42,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that an earlier one has alike: counts, and a digest of the text that is left."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.length("clean_text").cast("bigint").alias("n_chars"), F.sha2("clean_text", 256).alias("text_sha256"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, a digest of the base spans, and all spans."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
@@ -50,6 +56,6 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_quality_rules, op5_minhash_near_dedup, op8_secret_scans)
+    f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_quality_rules, op5_minhash_near_dedup, op7_line_dedup, op8_secret_scans)
 }
 ORACLES: dict[str, str] = {}
