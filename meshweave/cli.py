@@ -34,13 +34,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("-o", "--output")
     c.add_argument("-i", "--input-format", help="ignored unless the extension says nothing")
     c.add_argument("-q", "--quiet", action="store_true")
-    c.add_argument("options", nargs="*", help="encoder=, compressor=, data_format=, header_type=, coordinates=")
     i = commands.add_parser("info")
     i.add_argument("files", nargs="+")
-    said = parser.parse_args(args)
+    said, rest = parser.parse_known_args(args)
+    if wrong := [x for x in rest if "=" not in x or x.startswith("-")]:
+        parser.error(f"unknown: {' '.join(wrong)}")
     spark = spark or SparkSession.builder.appName("meshweave").getOrCreate()
     if said.command == "convert":
-        options = dict(x.split("=", 1) for x in said.options)
+        options = dict(x.split("=", 1) for x in rest)
         if options.get("compressor") == "none":
             options["compressor"] = None
         for source in expand(said.source):

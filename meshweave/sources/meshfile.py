@@ -171,8 +171,6 @@ def read_table(part: MeshPart, table: str, schema: T.StructType) -> Iterator[pa.
     """The rows of one piece."""
     file, piece = open_piece(part)
     names = [f.name for f in schema]
-    if table == "steps":
-        raise ValueProblem("steps are listed by the driver")
     structured = file.kind != "unstructured"
     columns: dict[str, pa.Array] = {}
     if table in ("points", "point_data"):
@@ -233,6 +231,16 @@ def read_table(part: MeshPart, table: str, schema: T.StructType) -> Iterator[pa.
         yield batch.slice(at, _ROWS)
 
 
+def read_part(part: MeshPart, table: str, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """The rows of one piece, steps included; none for the part that stands for no part."""
+    if part.step < 0:
+        yield _batch([], schema)
+    elif table == "steps":
+        yield _batch([(part.step, part.time, part.file)] if part.piece == 0 else [], schema)
+    else:
+        yield from read_table(part, table, schema)
+
+
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -267,7 +275,7 @@ class MeshFileSource(DataSource):
         kind = PushingMeshFileReader if on("pushdown") else MeshFileReader
         return kind(self._path(), self._table(), schema, on("group_times"))
 
-    def simpleStreamReader(self, schema: T.StructType):
+    def streamReader(self, schema: T.StructType):
         from ..streaming.series import SeriesStreamReader
 
         return SeriesStreamReader(self._path(), self._table(), schema)
@@ -286,12 +294,7 @@ class MeshFileReader(DataSourceReader):
         return parts or [MeshPart(-1, None, -1, "")]
 
     def read(self, part: MeshPart) -> Iterator[pa.RecordBatch]:
-        if part.step < 0:
-            yield _batch([], self.mesh_schema)
-        elif self.table == "steps":
-            yield _batch([(part.step, part.time, part.file)] if part.piece == 0 else [], self.mesh_schema)
-        else:
-            yield from read_table(part, self.table, self.mesh_schema)
+        yield from read_part(part, self.table, self.mesh_schema)
 
 
 class PushingMeshFileReader(MeshFileReader):

@@ -174,7 +174,7 @@ class VtkFile:
         arrays = list(piece.sections.get("Points", {}).values())
         if not arrays:
             return np.zeros((0, 3))
-        return self.values(arrays[0], n).reshape(n, -1)
+        return self.values(arrays[0], n).reshape(n, arrays[0].components)
 
     def image_frame(self) -> tuple[np.ndarray, np.ndarray, list[float]]:
         """Origin, spacing and direction (row by row; identity if not given)."""

@@ -3,47 +3,48 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSourceStreamReader
 
+from ..sources.meshfile import MeshPart, mesh_parts, read_part
 from ..sources.vtkxml import series_steps
 
 
-class SeriesStreamReader(SimpleDataSourceStreamReader):
-    """Rows of the steps that a collection has got since the last trigger; the offset is the number of steps read."""
+class SeriesStreamReader(DataSourceStreamReader):
+    """Rows of the steps that a collection has got since the last trigger.
+
+    The offset is the number of steps read; each piece of each new step is a task of its own.
+    """
 
     def __init__(self, path: str, table: str, schema: T.StructType):
         self.path, self.table, self.mesh_schema = path, table, schema
+        self.known = 0
 
     def initialOffset(self) -> dict:
         return {"step": 0}
 
-    def _rows(self, first: int, last: int) -> Iterator[tuple]:
-        from ..sources.meshfile import mesh_parts, read_table
-
-        for part in mesh_parts(self.path):
-            if first <= part.step < last:
-                if self.table == "steps":
-                    if part.piece == 0:
-                        yield (part.step, part.time, part.file)
-                    continue
-                for batch in read_table(part, self.table, self.mesh_schema):
-                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def latestOffset(self) -> dict:
+        # a collection that is being rewritten may be missing for a moment; steps never get fewer
+        if os.path.exists(self.path):
+            self.known = max(self.known, len(series_steps(self.path)))
+        return {"step": self.known}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        last = len(series_steps(self.path)) if os.path.exists(self.path) else 0
-        last = max(last, start["step"])
-        return self._rows(start["step"], last), {"step": last}
+    def partitions(self, start: dict, end: dict) -> Sequence[MeshPart]:
+        return [p for p in mesh_parts(self.path) if start["step"] <= p.step < end["step"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["step"], end["step"])
+    def read(self, part: MeshPart) -> Iterator[pa.RecordBatch]:
+        yield from read_part(part, self.table, self.mesh_schema)
 
     def commit(self, end: dict) -> None:
         pass
 
+    def stop(self) -> None:
+        pass
+
 
 def append_steps(stream: DataFrame, make_mesh, path: str, checkpoint: str, **options):
     """Write each micro-batch as the next step of a collection: make_mesh(batch) gives (time, Mesh).
