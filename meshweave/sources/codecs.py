@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import lzma
 import sys
+import warnings
 import zlib
 from collections.abc import Callable
 
@@ -24,6 +25,8 @@ BLOCK_BYTES = 32768
 NATIVE = "LittleEndian" if sys.byteorder == "little" else "BigEndian"
 #: Values in a line of ascii.
 PER_LINE = 15
+#: Lines that are formatted at once.
+_LINES = 1000
 
 _lz4 = pa.Codec("lz4_raw")
 _compress: dict[str, Callable[[bytes], bytes]] = {
@@ -67,20 +70,32 @@ def check_combination(encoder: str, data_format: str, compressor: str | None) ->
 def encode_ascii(values: np.ndarray) -> str:
     """Values in lines, floats with as many digits as surely survive (6 or 15)."""
     flat = values.ravel()
-    if flat.dtype.kind == "f":
-        digits = 6 if flat.dtype.itemsize == 4 else 15
-        words = [f"{x:.{digits}g}" for x in flat.tolist()]
-    else:
-        words = list(map(str, flat.astype("u1").tolist() if flat.dtype == bool else flat.tolist()))
-    return "\n".join(" ".join(words[i : i + PER_LINE]) for i in range(0, len(words), PER_LINE))
+    flat = flat.astype("u1") if flat.dtype == bool else flat
+    one = ("%.6g" if flat.dtype.itemsize == 4 else "%.15g") if flat.dtype.kind == "f" else "%d"
+    line = " ".join([one] * PER_LINE) + "\n"
+    out = []
+    for at in range(0, len(flat), _LINES * PER_LINE):
+        some = flat[at : at + _LINES * PER_LINE].tolist()
+        full, rest = divmod(len(some), PER_LINE)
+        out.append((line * full + " ".join([one] * rest)) % tuple(some))
+    return "".join(out).rstrip("\n")
 
 
 def decode_ascii(text: str, dtype: np.dtype, count: int | None = None) -> np.ndarray:
     """Numbers of a text; too few are an error, further ones are left alone."""
-    words = text.split()
-    if count is not None and len(words) < count:
-        raise SizeProblem(f"{len(words)} values where {count} are expected")
-    return np.array(words[:count], dtype="f8" if dtype.kind == "f" else object).astype(dtype)
+    wide = np.dtype("f8") if dtype.kind == "f" else np.dtype("u8") if dtype == np.dtype("u8") else np.dtype("i8")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", DeprecationWarning)  # what isn't a number ends reading with this warning
+        try:
+            values = np.fromstring(text, wide, sep=" ")
+        except DeprecationWarning as e:
+            raise ValueProblem(f"not only numbers: {text.strip()[:40]!r}") from e
+    if count is not None and len(values) < count:
+        raise SizeProblem(f"{len(values)} values where {count} are expected")
+    values = values[:count]
+    if dtype.kind != "f" and len(values) and (values.min() < np.iinfo(dtype).min or values.max() > np.iinfo(dtype).max):
+        raise ValueProblem(f"values don't fit {dtype}")
+    return values.astype(dtype)
 
 
 def compress_blocks(raw: bytes, compressor: str, header: np.dtype, block: int = BLOCK_BYTES) -> tuple[bytes, bytes]:

@@ -258,7 +258,7 @@ def structured_cells(extent: list[int], axis_aligned: bool) -> tuple[list[str],
 
 def _read_head(path: str) -> tuple[bytes, int, str]:
     """The XML before appended data (closed again), where appended data begins, and its encoding."""
-    buffer = b""
+    buffer = bytearray()
     try:
         with open_file(path) as f:
             while chunk := f.read(_CHUNK):
@@ -273,12 +273,12 @@ def _read_head(path: str) -> tuple[bytes, int, str]:
                         buffer += more
                     tag = buffer[at : end + 1].decode()
                     encoding = re.search(r'encoding="(\w+)"', tag)
-                    return buffer[:at] + b"</VTKFile>", start + 1, encoding[1] if encoding else "base64"
+                    return bytes(buffer[:at]) + b"</VTKFile>", start + 1, encoding[1] if encoding else "base64"
     except OSError as e:
         if isinstance(e, FileProblem):
             raise
         raise FileProblem(f"{path} can't be read: {e}") from e
-    return buffer, 0, "base64"
+    return bytes(buffer), 0, "base64"
 
 
 def _array(e: ET.Element) -> Array:
