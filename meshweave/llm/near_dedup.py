@@ -2,8 +2,8 @@
 
 Universal hash minima of each document's shingles are banded; documents that share a band are candidates, pass a check
 of their signatures and are confirmed on their full sets; connected groups come from alternating large-star and
-small-star. Documents of equal sets are one class from the start, and candidate pairs go through `link_buckets`, so
-groups of thousands of copies cost about their size.
+small-star. Documents of equal sets are one class from the start. Each bucket's first member is compared with its
+others; what that leaves apart is compared block by block, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .linking import link_buckets
 BANDS, ROWS = 32, 5
 #: Share of equal signature bytes below which a pair isn't looked at further: six standard deviations under 0.8.
 SIGNATURE_SLACK = 0.2
+#: Members of a block, and columns of the 0-1 matrix that is held at once.
+BLOCK, _COLUMNS = 512, 8192
 _WORDS_KEPT = 400_000
 _draw = np.random.default_rng(20_240_501)
 _A = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,6 +118,59 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "sa", "sb"), run, "a bigint, b bigint", rows=5000)
 
 
+def _between(left: list[dict], right: list[dict], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between members of different components, by exact sizes of all intersections at once."""
+    left = [m for m in left if any(m["comp"] != o["comp"] for o in right)]
+    if not left:
+        return
+    sets = [np.asarray(m["shingles"], np.int64) for m in (*left, *right)]
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    # only shingles that two sets have at least matter; columns of a 0-1 matrix, a slice at a time
+    shared, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    n, common = len(left), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((often > 1).sum()), _COLUMNS):
+        here = (column >= at) & (column < at + _COLUMNS)
+        m = np.zeros((len(sets), min(_COLUMNS, int((often > 1).sum()) - at)), np.float32)
+        m[row[here], column[here] - at] = 1
+        common += m[:n] @ m[n:].T
+    apart = np.array([m["comp"] for m in left])[:, None] != np.array([m["comp"] for m in right])
+    total = sizes[:n, None] + sizes[n:] - common.astype(np.int64)
+    for i, j in zip(*np.nonzero(apart & (100 * common.astype(np.int64) >= percent * total)), strict=True):
+        yield left[i]["node"], right[j]["node"]
+
+
+def _block_links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between different components that share a bucket of active(bucket, node, comp).
+
+    In each bucket, members outside its largest component meet all its members, in blocks of about BLOCK; a block's
+    pairs are counted by a matrix product, and only links come out. Every pair of two components has a member outside
+    the largest. Blocks are dealt out by both their numbers, so no bucket, however large, is one task's work.
+    """
+    counts = active.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("bucket").agg(F.max_by("comp", "n").alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    rows = active.join(whole, "bucket").withColumns({"lefts": blocks("few"), "rights": blocks("all")}).join(sets, "node")
+    member = F.collect_list(F.struct("node", "comp", "shingles"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = rows.where("comp <> largest").groupBy("bucket", part("lefts").alias("i"), "rights").agg(member.alias("left"))
+    left = left.select("bucket", "i", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "left")
+    right = rows.groupBy("bucket", part("rights").alias("j"), "lefts").agg(member.alias("right"))
+    right = right.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), "j", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: set[tuple[int, int]] = set()
+            for k in range(batch.num_rows):
+                got.update((min(p), max(p)) for p in _between(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), percent))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
+
+    return left.join(right, ["bucket", "i", "j"]).select("left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their sets of `width`-word shingles.
 
@@ -159,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         return near.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
 
     members = chosen.select("node", F.explode("bands").alias("bucket"))
-    labels = link_buckets(members, verify, scratch, prepare)
+    labels = link_buckets(members, verify, scratch, prepare, lambda active: _block_links(active, tables["sets"], percent))
     grouped = scratch.save(classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     lowest = scratch.save(grouped.groupBy("comp").agg(F.min("first_id").alias("component_id")))
     ids = scratch.save(grouped.join(lowest, "comp").select("node", "component_id"))
