@@ -17,6 +17,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Most bytes of Parquet files that are broadcast (they unfold to a few times as much); larger tables are shuffled.
 BROADCAST_BYTES = 4_000_000
 
+#: Spark's setting that deletes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_scratch: list[str] = []
 
 
@@ -33,7 +36,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, outlive executors and can be dropped early."""
+    """Tables written to the shared folder: they cut lineage, outlive executors and can be dropped early.
+
+    Once a table is written, nothing needs the shuffles it came from, so their files go at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -43,7 +49,12 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and return it as read back; its path is in the attribute `scratch_path`."""
         path = f"{self.base}/{next(self.count)}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -57,14 +68,30 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner", path: str | None = None) -> DataFrame:
     """Join with a table that lies in scratch: broadcast if its files' size is within bounds, else as Spark sees fit."""
     jvm, conf = large.sparkSession._jvm, large.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(small.scratch_path)
+    path = jvm.org.apache.hadoop.fs.Path(path or small.scratch_path)
     size = path.getFileSystem(conf).getContentSummary(path).getLength()
     return large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
+class Names:
+    """Names for working columns that clash with none of a table's own: names.x is the same for the same x."""
+
+    def __init__(self, df: DataFrame, prefix: str = "_w"):
+        self._prefix = prefix
+        while any(c.lower().startswith(self._prefix) for c in df.columns):
+            self._prefix += "_"
+
+    def __getattr__(self, name: str) -> str:
+        return f"{self._prefix}_{name}"
+
+    def drop_from(self, df: DataFrame) -> DataFrame:
+        """The table without working columns."""
+        return df.drop(*[c for c in df.columns if c.startswith(self._prefix)])
+
+
 def barrier(df: DataFrame, **columns) -> DataFrame:
     """Add columns that later expressions use without computing them again (a one-row generator stops inlining)."""
     names = list(columns)

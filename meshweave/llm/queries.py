@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, near_dedup, packing, quality, secrets, sharding, topk, toxicity
+from . import bpe, language, line_dedup, near_dedup, oracles, packing, quality, secrets, sharding, topk, toxicity
 
 
 def tokenizer_path() -> str:
@@ -34,7 +34,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged, with its counts."""
     out = quality.quality(_table(spark, sf_dir, "documents"))
-    return out.select("doc.doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    return out.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op4_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +58,14 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that an earlier one has alike: counts, and a digest of the text that is left."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc.doc_id", "n_lines", "n_dropped", F.length("clean_text").cast("bigint").alias("n_chars"), F.sha2("clean_text", 256).alias("text_sha256"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.length("lines.clean_text").cast("bigint").alias("n_chars"), F.sha2("lines.clean_text", 256).alias("text_sha256"))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, a digest of the base spans, and all spans."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     counts = [secrets.count_of("base", name).alias(f"n_{name}") for name in secrets.KINDS[:3]]
-    return found.select("doc.doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("all")).alias("spans"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {op3_quality_rules.__name__: oracles.OP3, op5_minhash_near_dedup.__name__: oracles.OP5, op6_exact_top_k.__name__: oracles.OP6}

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import barrier
+from .common import Names, barrier
 
 #: The three base patterns and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -115,21 +115,19 @@ def _tests(x: Column) -> Column:
     return F.struct(p.alias("p"), text_p.alias("text_p"))
 
 
-def _random_spans(df: DataFrame) -> DataFrame:
-    """Add `added`: spans of tokens that the battery finds random and no text. Needs body and base."""
-    tokens = matches(F.col("body"), TOKEN, "random")
-    df = barrier(df, _tokens=tokens)
+def _random_spans(df: DataFrame, n: Names) -> DataFrame:
+    """Add n.added: spans of tokens that the battery finds random and no text. Needs n.body and n.base."""
+    df = barrier(df, **{n.tokens: matches(F.col(n.body), TOKEN, "random")})
     # each token with its tests; those within or across a base span are part of it
-    apart = F.filter("_tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(apart, lambda t: F.struct(t.alias("span"), battery(F.substring(F.col("body"), t["start"] + 1, t["end"] - t["start"])).alias("test")))
-    df = barrier(df, _tested=tested)
-    ranked = F.array_sort(F.transform("_tested", lambda t: t["test"]["text_p"]))
-    df = barrier(df, _ranked=ranked)
+    apart = F.filter(n.tokens, lambda t: ~F.exists(n.base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    tested = F.transform(apart, lambda t: F.struct(t.alias("span"), battery(F.substring(F.col(n.body), t["start"] + 1, t["end"] - t["start"])).alias("test")))
+    df = barrier(df, **{n.tested: tested})
+    df = barrier(df, **{n.ranked: F.array_sort(F.transform(n.tested, lambda t: t["test"]["text_p"]))})
     # Benjamini and Hochberg: the largest p that is at most its rank's share of the rate
-    passing = F.filter("_ranked", lambda p, i: p * F.size("_ranked") <= FALSE_RATE * (i + 1))
-    df = barrier(df, _limit=F.array_max(passing))
-    chosen = F.filter("_tested", lambda t: (t["test"]["p"] >= LEAST_P) & (t["test"]["text_p"] <= F.coalesce(F.col("_limit"), F.lit(-1.0))))
-    return df.withColumn("added", F.transform(chosen, lambda t: t["span"])).drop("_tokens", "_tested", "_ranked", "_limit")
+    passing = F.filter(n.ranked, lambda p, i: p * F.size(n.ranked) <= FALSE_RATE * (i + 1))
+    df = barrier(df, **{n.limit: F.array_max(passing)})
+    chosen = F.filter(n.tested, lambda t: (t["test"]["p"] >= LEAST_P) & (t["test"]["text_p"] <= F.coalesce(F.col(n.limit), F.lit(-1.0))))
+    return df.withColumn(n.added, F.transform(chosen, lambda t: t["span"]))
 
 
 def count_of(spans: str, kind: str) -> Column:
@@ -143,31 +141,33 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Find the secrets of every whole text: rows (doc, body, base, all), doc being the input row as a struct.
+def scan(docs: DataFrame, text: str = "text", base: str = "base", every: str = "all") -> DataFrame:
+    """Find the secrets of every whole text: the input's columns and two arrays of (start, kind, end).
 
-    base holds the spans of the three patterns, all those and the battery's, as arrays of (start, kind, end) in order
-    of start, then kind. Null texts count as empty and have none; repeated rows are scanned each; an empty table gives
-    an empty table; the input's columns stay apart in doc, whatever they are called.
+    `base` holds the spans of the three patterns, `every` those and the battery's, in order of start, then kind. Null
+    texts count as empty and have none; repeated rows are scanned each; an empty table gives an empty table; the input
+    may have columns of any names (those named as the two arrays are replaced).
     """
-    df = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    body = F.col("body")
-    base = F.concat(matches(body, ASSIGN, "assign", 2, ASSIGN_LEAST), matches(body, ACCESS, "access"), matches(body, HEX, "hex"))
-    df = barrier(df, base=F.sort_array(base))
-    df = _random_spans(df)
-    return barrier(df.select("doc", "body", "base", "added"), all=F.sort_array(F.concat("base", "added"))).drop("added")
+    n = Names(docs)
+    df = docs.drop(base, every).select("*", F.coalesce(F.col(text), F.lit("")).alias(n.body))
+    body = F.col(n.body)
+    patterns = F.concat(matches(body, ASSIGN, "assign", 2, ASSIGN_LEAST), matches(body, ACCESS, "access"), matches(body, HEX, "hex"))
+    df = _random_spans(barrier(df, **{n.base: F.sort_array(patterns)}), n)
+    return n.drop_from(barrier(df, **{base: F.col(n.base), every: F.sort_array(F.concat(n.base, n.added))}))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with every secret replaced by a mark; their other columns as they are. Null texts stay null."""
-    found = scan(docs, text)
+    n = Names(docs, "_r")
+    found = scan(docs, text, n.base, n.every)
+    body = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("body"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    rest = F.aggregate("all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("body"), acc["at"] + 1, F.length("body"))))
-    new = F.when(F.size("all") > 0, rest).otherwise(F.col("doc")[text])
-    return found.select(*[(new if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
+    masked = F.aggregate(n.every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
+    new = F.when(F.size(n.every) > 0, masked).otherwise(body)
+    return found.withColumn(text, new).select(docs.columns)
