@@ -225,3 +225,32 @@ def test_benchmark_grid_has_all_points(tmp_path):
     write_grid(str(tmp_path / "b.vtu"), "vtu", grid, WriteOptions.of())
     file = VtkFile(str(tmp_path / "b.vtu"))
     assert file.number_of_points(file.pieces[0]) == 2601 and file.number_of_cells(file.pieces[0]) == 2500
+
+
+def test_micro_batches_become_steps(spark, tmp_path):
+    from meshweave.streaming.series import append_steps
+
+    for k in range(2):
+        spark.range(4).selectExpr("id AS point_id", f"double(id * {k + 1}) AS p").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("point_id bigint, p double").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
+
+    def make_mesh(batch):
+        data = batch.groupBy("point_id").agg(F.sum("p").alias("p"))
+        return 0.5, Mesh("image", None, None, data, frame=Frame([0, 3, 0, 0, 0, 0]))
+
+    path = str(tmp_path / "out.pvd")
+    query = append_steps(stream, make_mesh, path, str(tmp_path / "checkpoint"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert series_steps(path) == [(0.5, str(tmp_path / "out-00000.vti"))]
+    assert [r.p for r in load_table(spark, path, "point_data").orderBy("point_id").collect()] == [0, 3, 6, 9]
+
+
+def test_benchmark_script_knows_its_queries():
+    import bench
+
+    from meshweave.plans.catalog import QUERIES
+
+    assert set(bench.HEADLINE) <= set(QUERIES)
