@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import vtk_type
+from ..sources.scratch import materialise
 
 
 def running_index(df: DataFrame, id_column: str, name: str = "index") -> DataFrame:
     """Number rows from 0 in the order of their ids, without gathering them anywhere.
 
     Ids are dealt out by range; each range counts its rows, the counts (one a range) are summed up, and rows add their
-    place in the range. Ids have to be distinct.
+    place in the range. Ranges are drawn from a sample, so they are written down before they are used twice. Ids have to
+    be distinct.
     """
-    ranged = df.repartitionByRange(id_column).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(id_column).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy("_range").orderBy(id_column)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +44,7 @@ def offsets(cells: DataFrame, group: list[str] | None = None) -> DataFrame:
     sized = cells.select(*(group or []), "cell_id", F.size("corners").cast("bigint").alias("n"))
     if group:
         return sized.withColumn("offset", F.sum("n").over(Window.partitionBy(*group).orderBy("cell_id"))).drop("n")
-    ranged = sized.repartitionByRange("cell_id").withColumn("_range", F.spark_partition_id())
+    ranged = materialise(sized.repartitionByRange("cell_id").withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(F.sum("n").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,15 @@ def scratch_dir(spark: SparkSession) -> str:
             _own.append(tempfile.mkdtemp(prefix="meshweave-"))
         shared = _own[0]
     return f"{shared.removeprefix('file://').rstrip('/')}/mesh-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The table written to a scratch folder and read back: what is drawn or sampled in it is fixed from then on."""
+    path = f"file://{scratch_dir(df.sparkSession)}" if _is_local(df.sparkSession) else scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return not shared or shared.startswith(("/", "file:"))
