@@ -29,6 +29,7 @@ EVIDENCE_DOCS, CHAIN_DOCS, FEATURES = 16_000, 3000, 20_000
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
 #: Evidence levels of a token for each of its features; 0 is none.
 LEVELS = 4
+_WORDS_KEPT = 400_000
 KINDS = ("w", "4", "5", "6")
 
 
@@ -37,6 +38,22 @@ def features(word: str) -> tuple[str, ...]:
     return ("w" + word, *(f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) >= n))
 
 
+class _Odds(dict):
+    """Words' odds, remembered."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        self[word] = odds = self.model.word_odds(word)
+        return odds
+
+    def __reduce__(self):
+        return (_Odds, (self.model,))
+
+
 @dataclass
 class Model:
     """Evidence by feature, the chain's weights, and the document model's."""
@@ -49,19 +66,22 @@ class Model:
     offset: float
 
     def __post_init__(self) -> None:
-        self.known: dict[str, float] = {}
+        self.known = _Odds(self)
+        self.plain: dict[int, float] = {}
+
+    def word_odds(self, word: str) -> float:
+        """Log odds of the toxic state for a word by itself; the bias where nothing is known of it."""
+        return self.bias + sum(self.emit[KINDS.index(f[0]), self.level[f]] for f in features(word) if f in self.level)
 
     def potentials(self, words: list[str]) -> np.ndarray:
-        """Log odds of the toxic state for each word by itself."""
-        known, out = self.known, np.empty(len(words))
-        if len(known) > 400_000:
-            known.clear()
-        for i, w in enumerate(words):
-            v = known.get(w)
-            if v is None:
-                v = known[w] = self.bias + sum(self.emit[KINDS.index(f[0]), self.level[f]] for f in features(w) if f in self.level)
-            out[i] = v
-        return out
+        """Log odds of each word by itself."""
+        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+
+    def plain_score(self, n: int) -> float:
+        """The score of n words of which nothing is known; many texts have the same number."""
+        if n not in self.plain:
+            self.plain[n] = self.score(chain_marginals(np.full(n, self.bias), self.move)[0])
+        return self.plain[n]
 
     def marginals(self, words: list[str]) -> np.ndarray:
         """Each token's probability of being toxic."""
@@ -196,14 +216,22 @@ def fit(rows: DataFrame, evidence_docs: int = EVIDENCE_DOCS, chain_docs: int = C
     model = Model(level, emit, bias, move, np.zeros(3), 0.0)
     x = np.array([summary(model.marginals(words)) for words, _ in docs])
     model.weights, model.offset = _fit_scores(x, np.array([t for _, t in docs]))
-    model.known = {}
+    model.known.clear()
+    model.plain.clear()
     return model
 
 
 def spans_of(text: str, model: Model) -> tuple[float, list[tuple[int, int]]]:
     """A text's score, and its toxic spans as code-point offsets (end exclusive)."""
-    found = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
-    marginals = model.marginals([w for _, _, w in found])
+    lowered = text.lower()
+    words = WORD.findall(lowered)
+    odds = model.potentials(words)
+    if not (odds != model.bias).any():
+        return model.plain_score(len(words)), []
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    if len(found) != len(words):  # lower case may come apart differently; places are those of the text
+        odds = model.potentials([text[s:e].lower() for s, e in found])
+    marginals = chain_marginals(odds, model.move)[0]
     spans: list[tuple[int, int]] = []
     last = -2
     for i in np.flatnonzero(marginals >= 0.5).tolist():
