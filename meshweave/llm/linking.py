@@ -44,13 +44,33 @@ def _shared(members: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, prepare: Callable[[DataFrame], None] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = (), near: Column | None = None) -> DataFrame:
+def _beside_largest(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same with each bucket's largest component, in the column `largest`."""
+    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    keys = scratch.save(counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps"))
+    out = scratch.save(members.join(keys, "bucket"))
+    scratch.drop(keys)
+    return out
+
+
+def link_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    prepare: Callable[[DataFrame], None] | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+    carry: tuple[str, ...] = (),
+    near: Column | None = None,
+) -> DataFrame:
     """Components of all links between nodes that share a bucket: rows (node, comp) of the nodes that have a link.
 
     members(bucket, node) says who is in which bucket; verify(pairs(a, b)) keeps the pairs that are links. In each
-    round every bucket compares some of its nodes (pivots) with all its others, except where both are known to be
-    connected already; then the pivots leave. A bucket ends when all that are left are connected. So a large bucket
-    of one group costs about its size, and still no pair of two groups goes untested. Pivots quadruple each round.
+    round every bucket compares some of its nodes (pivots) with all its others, but for those that the first round has
+    connected already; then the pivots leave. After the first round pivots are members outside the bucket's largest
+    component: a pair of two components has one of these, so a bucket ends when none is left. A large bucket of one
+    group thus costs about its size, and still no pair of two groups goes untested. Pivots increase sixteenfold each
+    round.
+
     prepare(active members) is called once, before the first round. finish(active(bucket, node, comp)), if given, takes
     over after the first round and returns all links between the components that are left. `carry` are further numbers
     of members, and `near` a condition that candidate pairs must meet in their bucket, on those columns and on the
@@ -59,32 +79,29 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     active = _shared(members.select("bucket", "node", *carry, F.col("node").alias("comp")), scratch)
     if prepare:
         prepare(active)
-    links, labels, pivots_each = None, None, 1
+    labels = scratch.save(members.sparkSession.createDataFrame([], "node bigint, comp bigint"))
+    links, pivots_each = None, 1
     while not active.isEmpty():
         if finish and pivots_each > 1:
             found = scratch.save(finish(active))
-            if not found.isEmpty():
-                old, labels = labels, components(found if links is None else links.union(found), scratch)
-                scratch.drop(old)
+            links = found if links is None else links.union(found)
             break
         part = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = scratch.save(active.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("pivot"), *[F.min_by(c, "node").alias(f"pivot_{c}") for c in ("comp", *carry)]).drop("part"))
+        choice = active.where("comp <> largest") if pivots_each > 1 else active
+        pivots = scratch.save(choice.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("pivot"), *[F.min_by(c, "node").alias(f"pivot_{c}") for c in ("comp", *carry)]).drop("part"))
         apart = F.col("comp") != F.col("pivot_comp")
         pairs = active.join(pivots, "bucket").where(apart if near is None else apart & near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = scratch.save(verify(pairs))
-        grown = not found.isEmpty()
-        if grown:
-            links = found if links is None else scratch.save(links.union(found))
-            old, labels = labels, components(links, scratch)
-            scratch.drop(old)
-        gone = pivots.select("bucket", F.col("pivot").alias("node"))
-        rest = active.select("bucket", "node", *carry, *["comp"] * (not grown)).join(gone, ["bucket", "node"], "left_anti")
-        if grown:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", *carry, F.coalesce("comp", "node").alias("comp"))
+        links = found if links is None else links.union(found)
+        rest = active.drop("largest").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+        if pivots_each == 1:
+            labels = components(found, scratch)
+            rest = rest.drop("comp").join(labels, "node", "left").select("bucket", "node", *carry, F.coalesce("comp", "node").alias("comp"))
         rest = scratch.save(rest)
-        old, active = active, _shared(rest, scratch)
+        old, active = active, _beside_largest(rest, scratch)
         scratch.drop(old, rest, pivots)
-        pivots_each *= 4
-    if labels is None:
-        labels = scratch.save(members.sparkSession.createDataFrame([], "node bigint, comp bigint"))
+        pivots_each *= 16
+    if pivots_each > 1:
+        old, labels = labels, components(links, scratch)
+        scratch.drop(old)
     return labels

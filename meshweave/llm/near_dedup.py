@@ -150,6 +150,7 @@ def _block_links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs are counted by a matrix product, and only links come out. Every pair of two components has a member outside
     the largest. Blocks are dealt out by both their numbers, so no bucket, however large, is one task's work.
     """
+    active = active.select("bucket", "node", "comp")
     counts = active.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     whole = counts.groupBy("bucket").agg(F.max_by("comp", "n").alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
