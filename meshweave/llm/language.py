@@ -22,7 +22,7 @@ from .training import bounded, crc_part
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of fitting: documents to learn from, and rows (words or n-grams, by language) that the model keeps.
-TRAIN_DOCS, MODEL_ROWS = 20_000, 400_000
+TRAIN_DOCS, MODEL_ROWS = 20_000, 150_000
 LONGEST = 4
 #: Words whose scores a worker remembers.
 _KEPT = 300_000
@@ -36,25 +36,26 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Counts of words (length 0) and n-grams by language, and each one's totals."""
+    """Counts of words (length 0) and n-grams by language (rows of a matrix), and each length's totals."""
 
     languages: list[str]
-    counts: dict[int, dict[str, np.ndarray]]
+    place: dict[int, dict[str, int]]
+    counts: np.ndarray
     totals: dict[int, np.ndarray]
     row_of: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def _log(self, n: int, counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.1) / (self.totals[n] + 0.1 * len(self.counts[n]) + 1))
+        return np.log((counts + 0.1) / (self.totals[n] + 0.1 * len(self.place[n]) + 1))
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency by language: the word's, or the mean of its longest known n-grams'."""
-        if (seen := self.counts[0].get(word)) is not None:
-            return self._log(0, seen)
+        if (seen := self.place[0].get(word)) is not None:
+            return self._log(0, self.counts[seen])
         for n in range(LONGEST, 0, -1):
-            known = [c for g in grams(word, n) if g.strip() and (c := self.counts[n].get(g)) is not None]
+            known = [at for g in grams(word, n) if g.strip() and (at := self.place[n].get(g)) is not None]
             if known:
-                return np.mean([self._log(n, c) for c in known], axis=0)
+                return self._log(n, self.counts[known]).mean(axis=0)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -103,15 +104,21 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, model_rows: int = MODEL_R
     counted = map_arrow(sample.select("text", "lang"), count, "lang string, n int, gram string, c bigint", rows=1000)
     counted = scratch.save(counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     totals = counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()  # a few rows a language
-    top = counted.orderBy(F.desc("c"), "lang", "n", "gram").limit(model_rows).toPandas()  # model_rows rows
+    top = counted.orderBy(F.desc("c"), "lang", "n", "gram").limit(model_rows).toArrow()  # model_rows rows
     scratch.drop(counted)
     languages = sorted({r["lang"] for r in totals})
     column = {lang: i for i, lang in enumerate(languages)}
-    model = Model(languages, {n: {} for n in range(LONGEST + 1)}, {n: np.zeros(len(languages)) for n in range(LONGEST + 1)})
+    place: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
+    rows = np.empty(top.num_rows, np.int64)
+    size = 0
+    for i, (n, gram) in enumerate(zip(top.column("n").to_pylist(), top.column("gram").to_pylist(), strict=True)):
+        rows[i] = place[n].setdefault(gram, size)
+        size += int(rows[i] == size)
+    counts = np.zeros((size, len(languages)), np.float32)
+    counts[rows, [column[x] for x in top.column("lang").to_pylist()]] = top.column("c").to_numpy()
+    model = Model(languages, place, counts, {n: np.zeros(len(languages)) for n in range(LONGEST + 1)})
     for r in totals:
         model.totals[r["n"]][column[r["lang"]]] = r["c"]
-    for lang, n, gram, c in top.itertuples(index=False):
-        model.counts[n].setdefault(gram, np.zeros(len(languages), np.float32))[column[lang]] = c
     return model
 
 
