@@ -22,7 +22,7 @@ from .training import bounded, crc_part
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of fitting: documents to learn from, and rows (words or n-grams, by language) that the model keeps.
-TRAIN_DOCS, MODEL_ROWS = 20_000, 150_000
+TRAIN_DOCS, MODEL_ROWS = 10_000, 150_000
 LONGEST = 4
 #: Words whose scores a worker remembers.
 _KEPT = 300_000
@@ -91,8 +91,9 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, model_rows: int = MODEL_R
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = Counter(WORD.findall(text.lower()))
-            counts.setdefault((lang, 0), Counter()).update(words)
+            counts.setdefault((lang, 0), Counter()).update(WORD.findall(text.lower()))
+        # n-grams of each different word once, however often it occurs
+        for lang, words in [(lang, x) for (lang, _), x in counts.items()]:
             for n in range(1, LONGEST + 1):
                 mine = counts.setdefault((lang, n), Counter())
                 for w, times in words.items():
