@@ -2,15 +2,16 @@
 
 A token's encoding is inferred from its characters. Three tests ask whether it could be drawn at random from that
 alphabet: chi-squared uniformity, runs above and below the alphabet's middle, and serial correlation; Fisher's method
-combines them. What passes must also be unlike ordinary text: a bound on the chance that text of its length has such a
-mixture of character classes (Sanov's, so longer tokens need less strangeness each character) goes through
-Benjamini and Hochberg's control of false discoveries over all tokens of the document. DataFrame functions only.
+combines them. What passes must also be unlike ordinary text: a bound on the chance that text of its length has a mixture
+of character classes at least as strange (by enumeration of all mixtures of that length) goes through Benjamini and Hochberg's control of false discoveries over all tokens of the document. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ KINDS = ["assign", "access", "hex", "random"]
 ENCODINGS = [
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("upper36", r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("lower36", r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
@@ -35,6 +38,8 @@ ENCODINGS = [
 TEXT_SHARES = [0.90, 0.06, 0.03, 0.01]
 #: A token is random where the battery's combined p is at least this; and no text at this rate of false discoveries.
 LEAST_P, FALSE_RATE = 0.01, 0.001
+#: Longest token whose mixtures are enumerated; Sanov's factor (n + 1)^3 serves for longer ones, which are strange enough.
+MOST_EXACT = 128
 
 
 def matches(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0) -> Column:
@@ -71,8 +76,31 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series, F.lit(1e-300))
 
 
+@functools.cache
+def tail_factors() -> list[float]:
+    """For each length n up to MOST_EXACT the least c so that text diverges by d or more with chance c exp(-d) at most.
+
+    The divergence is that of the classes' counts from TEXT_SHARES; every mixture of n characters is enumerated.
+    """
+    log_factorial = np.r_[0.0, np.cumsum(np.log(np.arange(1, MOST_EXACT + 1)))]
+    factors = [1.0]
+    for n in range(1, MOST_EXACT + 1):
+        # the classes' counts are the gaps between three bars
+        i, j = np.triu_indices(n + 1)
+        rest = n - j
+        last = np.concatenate([np.arange(r + 1) for r in rest])
+        a, b = np.repeat(i, rest + 1), np.repeat(j - i, rest + 1)
+        counts = [a, b, last, n - a - b - last]
+        logs = np.log(np.maximum(np.arange(n + 1), 1) / n)
+        divergence = sum(c * (logs[c] - math.log(share)) for c, share in zip(counts, TEXT_SHARES, strict=True))
+        chance = np.exp(log_factorial[n] + sum(c * math.log(share) - log_factorial[c] for c, share in zip(counts, TEXT_SHARES, strict=True)))
+        order = np.argsort(-divergence)
+        factors.append(float(np.max(np.cumsum(chance[order]) * np.exp(divergence[order]))))
+    return factors
+
+
 def battery(token: Column) -> Column:
-    """Struct (p, text_p) of a token: combined p under randomness, and the bound of its chance as ordinary text."""
+    """Struct (p, text_p, tail) of a token: combined p under randomness, Sanov's and the enumerated bound of its chance as text."""
     bare = F.regexp_replace(token, "=+$", "")
     code = F.coalesce(*[F.when(token.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)], F.lit(len(ENCODINGS) - 1))
     alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), code + 1)
@@ -112,7 +140,9 @@ def _tests(x: Column) -> Column:
     counts = [F.regexp_count(bare, F.lit(c)).cast("double") for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
     divergence = sum((F.when(c > 0, c * F.ln(c / n / share)).otherwise(0.0) for c, share in zip(counts, TEXT_SHARES, strict=True)), F.lit(0.0))
     text_p = F.least(F.lit(1.0), F.pow(n + 1, F.lit(len(TEXT_SHARES) - 1.0)) * F.exp(-divergence))
-    return F.struct(p.alias("p"), text_p.alias("text_p"))
+    factor = F.coalesce(F.get(F.array(*[F.lit(c) for c in tail_factors()]), n.cast("int")), F.pow(n + 1, F.lit(len(TEXT_SHARES) - 1.0)))
+    tail = F.least(F.lit(1.0), factor * F.exp(-divergence))
+    return F.struct(p.alias("p"), text_p.alias("text_p"), tail.alias("tail"))
 
 
 def _random_spans(df: DataFrame, n: Names) -> DataFrame:
@@ -122,11 +152,11 @@ def _random_spans(df: DataFrame, n: Names) -> DataFrame:
     apart = F.filter(n.tokens, lambda t: ~F.exists(n.base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     tested = F.transform(apart, lambda t: F.struct(t.alias("span"), battery(F.substring(F.col(n.body), t["start"] + 1, t["end"] - t["start"])).alias("test")))
     df = barrier(df, **{n.tested: tested})
-    df = barrier(df, **{n.ranked: F.array_sort(F.transform(n.tested, lambda t: t["test"]["text_p"]))})
+    df = barrier(df, **{n.ranked: F.array_sort(F.transform(n.tested, lambda t: t["test"]["tail"]))})
     # Benjamini and Hochberg: the largest p that is at most its rank's share of the rate
     passing = F.filter(n.ranked, lambda p, i: p * F.size(n.ranked) <= FALSE_RATE * (i + 1))
     df = barrier(df, **{n.limit: F.array_max(passing)})
-    chosen = F.filter(n.tested, lambda t: (t["test"]["p"] >= LEAST_P) & (t["test"]["text_p"] <= F.coalesce(F.col(n.limit), F.lit(-1.0))))
+    chosen = F.filter(n.tested, lambda t: (t["test"]["p"] >= LEAST_P) & (t["test"]["tail"] <= F.coalesce(F.col(n.limit), F.lit(-1.0))))
     return df.withColumn(n.added, F.transform(chosen, lambda t: t["span"]))
 
 

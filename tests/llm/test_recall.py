@@ -1,0 +1,47 @@
+"""How many random secrets are found, by alphabet and length."""
+
+from __future__ import annotations
+
+import itertools
+import math
+import random
+
+import pytest
+from meshweave.llm import secrets
+from pyspark.sql import functions as F
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = {"lower36": LOWER + DIGITS, "upper36": UPPER + DIGITS, "base62": LOWER + UPPER + DIGITS, "base64": LOWER + UPPER + DIGITS + "+/"}
+
+
+def test_tail_factors_bound_the_chance_of_text():
+    n, shares = 9, secrets.TEXT_SHARES
+    types = []
+    for cut in itertools.combinations(range(n + 3), 3):
+        counts = [b - a - 1 for a, b in zip((-1, *cut), (*cut, n + 3))]
+        chance = math.factorial(n) * math.prod(s**c / math.factorial(c) for c, s in zip(counts, shares))
+        types.append((sum(c * math.log(c / n / s) for c, s in zip(counts, shares) if c), chance))
+    assert sum(p for _, p in types) == pytest.approx(1)
+    expected = max(math.exp(d) * sum(p for e, p in types if e >= d - 1e-9) for d, _ in types)
+    assert secrets.tail_factors()[n] == pytest.approx(expected, rel=1e-6)
+    assert all(c < (k + 1) ** 3 for k, c in enumerate(secrets.tail_factors()) if k >= 20)
+
+
+def test_recall_by_alphabet_and_length(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice(LOWER) for _ in range(rng.randint(20, 30)))
+    long_text = " ".join(word() for _ in range(300))
+    rows = []
+    for name, alphabet in ALPHABETS.items():
+        for n in (20, 24, 32, 64, 128):
+            rows += [(f"{name} {n} alone", "".join(rng.choice(alphabet) for _ in range(n))) for _ in range(100)]
+        rows += [(f"{name} {n} long", "".join(rng.choice(alphabet) for _ in range(n)) + " " + long_text) for n in (32, 64) for _ in range(4)]
+    df = spark.createDataFrame(rows, "kind string, text string").repartition(4)
+    found = F.exists("all", lambda s: s["start"] == 0)
+    got = {r.kind: r.share for r in secrets.scan(df).groupBy("kind").agg(F.avg(found.cast("int")).alias("share")).collect()}
+    print(sorted(got.items()))
+    for name in ALPHABETS:
+        for n in (32, 64, 128):
+            assert got[f"{name} {n} alone"] >= 0.85
+        assert got[f"{name} 64 long"] >= 0.75
+    assert got["base62 20 alone"] >= 0.8 and got["base62 32 long"] >= 0.75
