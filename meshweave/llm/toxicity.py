@@ -210,7 +210,7 @@ def fit(rows: DataFrame, evidence_docs: int = EVIDENCE_DOCS, chain_docs: int = C
     odds = F.ln((F.col("t") + 0.5) / (totals[1] + 1)) - F.ln((F.col("n") + 0.5) / (totals[0] + 1))
     top = counts.where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "feature").limit(FEATURES)
     level = {r["feature"]: 1 + min(LEVELS - 1, int((r["odds"] - LEAST_ODDS) // 1.2)) for r in top.collect()}  # FEATURES rows
-    chosen = bounded(sample, "doc_id", chain_docs).orderBy("doc_id").collect()  # about chain_docs rows
+    chosen = bounded(sample, "doc_id", chain_docs, seed=18).orderBy("doc_id").collect()  # about chain_docs rows
     docs = [(WORD.findall(r["text"].lower()), r["toxic"]) for r in chosen]
     emit, bias, move = _fit_chain(docs, level)
     model = Model(level, emit, bias, move, np.zeros(3), 0.0)
@@ -267,6 +267,6 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
 def toxicity(docs: DataFrame, labels: DataFrame, held_out_parts: int = 5) -> DataFrame:
     """Fit on labelled rows outside the held-out part (crc32 of doc_id modulo `held_out_parts` is 0) and score all."""
     allowed = labels.where(F.col("toxic").isNotNull() & (crc_part("doc_id", held_out_parts) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    allowed = bounded(allowed, "doc_id", 2 * EVIDENCE_DOCS)
+    allowed = bounded(allowed, "doc_id", 2 * EVIDENCE_DOCS, seed=19)
     model = fit(docs.select("doc_id", "text").join(F.broadcast(allowed), "doc_id"))
     return score(docs, model).withColumn("held_out", crc_part("doc_id", held_out_parts) == 0)

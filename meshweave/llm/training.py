@@ -11,9 +11,12 @@ def crc_part(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(-1)).cast("int")
 
 
-def bounded(rows: DataFrame, doc_id: str, most: int) -> DataFrame:
-    """About `most` of the rows at most, by a hash of their ids: the same ones however the table is stored."""
+def bounded(rows: DataFrame, doc_id: str, most: int, seed: int = 17) -> DataFrame:
+    """About `most` of the rows at most, by a hash of their ids: the same ones however the table is stored.
+
+    A sample of a sample needs a seed of its own: by the same one, its rows have small hashes already.
+    """
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
