@@ -184,10 +184,6 @@ def test_all_links_in_buckets_are_found(spark):
     assert {n: got.get(n, n) for _, n in members} == {n: find(n) for _, n in members}
 
 
-def norm(line):
-    return re.sub(r"[^\w]+|_", " ", line.lower()).strip()
-
-
 def test_line_dedup(spark, docs, rows, empty, clashing):
     base = "the quiet harbour had seven windows looking over the morning river and a garden of paper clouds beside the stone table"
     lines = [
@@ -206,9 +202,3 @@ def test_line_dedup(spark, docs, rows, empty, clashing):
     assert (out[5].clean_text, out[5].n_lines, out[6].clean_text) == (None, 0, "")
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(clashing).count() == len(rows)
-
-
-def test_word_codes_count_words(spark):
-    df = spark.createDataFrame([("the quiet river", "the river"), ("a b c d", "a x c d y"), ("one", "two")], "a string, b string")
-    got = df.select(F.levenshtein(line_dedup.word_codes(F.col("a")), line_dedup.word_codes(F.col("b"))).alias("d"), F.length(line_dedup.word_codes(F.col("a"))).alias("n"))
-    assert [tuple(r) for r in got.collect()] == [(1, 3), (2, 4), (1, 1)]
