@@ -36,11 +36,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _shared(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of buckets that hold nodes of two components or more."""
-    keys = scratch.save(members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"))
-    out = scratch.save(members.join(keys, "bucket"))
-    scratch.drop(keys)
+def _with_pivots(members: DataFrame, carry: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """Members of buckets that hold two nodes or more, each its own component, with the bucket's smallest node (pivot)."""
+    carried = [F.min_by(c, "node").alias(f"pivot_{c}") for c in carry]
+    pivots = scratch.save(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), *carried).where("pivot < last").drop("last"))
+    rows = members.join(pivots.hint("shuffle_hash"), "bucket")
+    out = scratch.save(rows.select("bucket", "node", *carry, F.col("node").alias("comp"), "pivot", F.col("pivot").alias("pivot_comp"), *[f"pivot_{c}" for c in carry]))
+    scratch.drop(pivots)
     return out
 
 
@@ -76,7 +78,7 @@ def link_buckets(
     of members, and `near` a condition that candidate pairs must meet in their bucket, on those columns and on the
     pivot's (pivot_<column>).
     """
-    active = _shared(members.select("bucket", "node", *carry, F.col("node").alias("comp")), scratch)
+    active = _with_pivots(members, carry, scratch)
     if prepare:
         prepare(active)
     labels = scratch.save(members.sparkSession.createDataFrame([], "node bigint, comp bigint"))
@@ -86,20 +88,26 @@ def link_buckets(
             found = scratch.save(finish(active))
             links = found if links is None else links.union(found)
             break
-        part = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        choice = active.where("comp <> largest") if pivots_each > 1 else active
-        pivots = scratch.save(choice.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("pivot"), *[F.min_by(c, "node").alias(f"pivot_{c}") for c in ("comp", *carry)]).drop("part"))
+        if pivots_each == 1:
+            met = active
+            rest = active.where("node <> pivot").select("bucket", "node", *carry)
+        else:
+            part = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
+            pivots = active.where("comp <> largest").groupBy("bucket", part.alias("part")).agg(F.min("node").alias("pivot"), *[F.min_by(c, "node").alias(f"pivot_{c}") for c in ("comp", *carry)]).drop("part")
+            pivots = scratch.save(pivots)
+            met = active.join(pivots, "bucket")
+            rest = active.drop("largest").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
         apart = F.col("comp") != F.col("pivot_comp")
-        pairs = active.join(pivots, "bucket").where(apart if near is None else apart & near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = met.where(apart if near is None else apart & near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = scratch.save(verify(pairs))
         links = found if links is None else links.union(found)
-        rest = active.drop("largest").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
         if pivots_each == 1:
-            labels = components(found, scratch)
-            rest = rest.drop("comp").join(labels, "node", "left").select("bucket", "node", *carry, F.coalesce("comp", "node").alias("comp"))
+            old, labels = labels, components(found, scratch)
+            scratch.drop(old)
+            rest = rest.join(labels, "node", "left").select("bucket", "node", *carry, F.coalesce("comp", "node").alias("comp"))
         rest = scratch.save(rest)
         old, active = active, _beside_largest(rest, scratch)
-        scratch.drop(old, rest, pivots)
+        scratch.drop(old, rest, *([] if pivots_each == 1 else [pivots]))
         pivots_each *= 16
     if pivots_each > 1:
         old, labels = labels, components(links, scratch)
