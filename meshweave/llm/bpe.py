@@ -31,8 +31,8 @@ from .common import map_arrow
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most words that a worker remembers; beyond it, it starts afresh (results don't depend on it).
 CACHED_WORDS = 400_000
-#: Words of more bytes are merged one by one.
-LONG_WORD = 64
+#: Words of more bytes are merged one by one; still longer ones are not speculated on, and not remembered.
+LONG_WORD, HUGE_WORD = 64, 1024
 NEVER = np.int64(1) << 40
 
 
@@ -174,11 +174,12 @@ class Bpe:
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Tokens of each word: speculate, verify, and merge exactly where the check fails."""
         raw = [w.encode() for w in words]
-        word, token = self.propose(raw)
+        huge = np.array([len(w) > HUGE_WORD for w in raw], bool)
+        word, token = self.propose([b"" if h else w for w, h in zip(raw, huge.tolist(), strict=True)])
         inside = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, np.int64)
         pairs, back = np.unique(token[inside] << 20 | token[inside + 1], return_inverse=True)
         bad_pair = self.crossed(pairs >> 20, pairs & 0xFFFFF)
-        bad = np.zeros(len(words), bool)
+        bad = huge
         bad[word[inside[bad_pair[back]]]] = True
         bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
         flat = token.tolist()
@@ -276,6 +277,9 @@ class Bpe:
                 else:
                     ids.append(special)
             yield ids
+        for w in new:
+            if len(w) > HUGE_WORD // 4:
+                del self.cache[w]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 
 
+#: Runs of blanks that tiktoken isn't given.
+LONG_RUN = re.compile(r"\s{10000}")
+
+
 class Recipe:
     """Which pieces go where: rows (length, first number, first sequence, offset), each for a run of pieces."""
 
@@ -152,6 +157,15 @@ def _encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _encode(encoder, path: str, text: str) -> np.ndarray:
+    """Ids of a text. Texts with a run of blanks so long that tiktoken's pattern gives up go to op2's encoder."""
+    if LONG_RUN.search(text):
+        from .bpe import load
+
+        return np.array([*load(path).encode_texts([text])][0], np.uint32)
+    return encoder.encode_to_numpy(text, allowed_special="all")
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenise whole texts, end each with `separator`, and cut what is longer than `capacity` (the first piece is shorter).
 
@@ -168,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
         got: list[tuple] = []
         ids_of: list[np.ndarray] = []
         for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.append(encoder.encode_to_numpy(t or "", allowed_special="all"), separator).astype("<u4")
+            ids = np.append(_encode(encoder, tokenizer, t or ""), separator).astype("<u4")
             first = (len(ids) - 1) % capacity + 1
             for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                 part = ids[start : start + (capacity if k else first)]

@@ -41,6 +41,16 @@ def test_words_that_fail_speculation_and_long_ones():
     assert [list(t) for t in OWN.merge_words([w.encode() for w in words])] == [library(w) for w in words]
 
 
+LONG_RUNS = [" " * 1_100_000 + "x", "\n" * 1_100_000, "a" * 50_000, "😀" * 30_000, " \t\n" * 100_000 + "end <|endoftext|> " + "!" * 20_000]
+
+
+def test_long_runs():
+    assert [*OWN.encode_texts(LONG_RUNS)] == [library(t) for t in LONG_RUNS]
+    assert all(len(w) <= bpe.HUGE_WORD for w in OWN.cache)
+    for t in LONG_RUNS:
+        assert packing._encode(packing._encoder(PATH), PATH, t).tolist() == library(t)
+
+
 def test_decoding_broken_bytes():
     ids = library("日本")[:1]
     assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
