@@ -6,7 +6,7 @@ from . import quality
 
 _SPACE = r"[\x20\x09-\x0D]"
 _SEPARATORS = "'|', '»', '›', '>', '•', '·', '/', '–', '—', '-', '::'"
-_TERMINAL = quality.TERMINAL.replace("'", "''")
+_CLOSING = quality.CLOSING.replace("'", "''")
 
 OP3 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -17,7 +17,7 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 l AS (SELECT doc_id, line, len(string_split_regex(line, '{_SPACE}+')) AS n, list_filter(string_split_regex(line, '{_SPACE}+'), lambda x: x <> '') AS words
       FROM (SELECT doc_id, unnest(lines) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 passing AS (SELECT doc_id, sum(length(regexp_replace(line, '{_SPACE}', '', 'g'))) AS chars FROM l
-      WHERE (n < {quality.HEADING_WORDS} OR regexp_matches(right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 8), '{_TERMINAL}'))
+      WHERE (n < {quality.HEADING_WORDS} OR contains('{quality.TERMINAL}', right(rtrim(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_CLOSING}'), 1)))
       AND len(regexp_extract_all(line, '{quality.SYMBOLS}')) <= {quality.MOST_SYMBOLS} * length(line)
       AND len(list_filter(words, lambda x: x IN ({_SEPARATORS}))) <= {quality.MOST_SEPARATORS} * n
       AND NOT (n <= {quality.NOTICE_WORDS} AND regexp_matches(line, '(?i){quality.BOILERPLATE}'))

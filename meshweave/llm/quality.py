@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Names, barrier
 
-#: Ends of a sentence, closing quotes and brackets included.
-TERMINAL = r"[.!?:;…。！？](?:[\"'”’»)\]]*)$"
+#: Ends of a sentence, and the closing quotes and brackets that may follow, as many as there are.
+TERMINAL, CLOSING = ".!?:;…。！？", "\"'”’»)]"
+BLANKS = " \t\n\x0b\f\r"
 #: Words that only separate the links of a navigation bar.
 SEPARATOR = r"(?<!\S)(?:[|»›>•·/–—-]|::)(?!\S)"
 #: Phrases of notices and page furniture.
@@ -31,7 +32,7 @@ MOST_LOST = 0.5
 
 def _line_passes(line: Column, words: Column) -> Column:
     """Whether a line of so many words passes the punctuation, navigation and boilerplate rules."""
-    ended = F.right(F.rtrim(line, F.lit(" \t\n\x0b\f\r")), F.lit(8)).rlike(TERMINAL) | (words < HEADING_WORDS)
+    ended = F.contains(F.lit(TERMINAL), F.right(F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(CLOSING)), F.lit(1))) | (words < HEADING_WORDS)
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) <= MOST_SYMBOLS * F.length(line)
     separators = F.regexp_count(line, F.lit(SEPARATOR)) <= MOST_SEPARATORS * words
     notice = (words <= NOTICE_WORDS) & line.rlike(f"(?i){BOILERPLATE}")
