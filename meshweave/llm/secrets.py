@@ -43,30 +43,65 @@ MOST_EXACT = 128
 
 
 def matches(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches with their places: an array of (start, kind, end), in code points.
+    """Leftmost non-overlapping matches with their places: an array of (start, kind, end, text), in code points.
 
     The text split at the matches gives the gaps, whose lengths and the matches' own lead from place to place.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), inner, lambda x, i: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(i).alias("i")))
-    return F.when(text.rlike(pattern), _placed(zipped, kind, least)).otherwise(F.array().cast(SPANS))
+    zipped = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))), inner, lambda x, i: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(i).alias("i")))
+    return F.when(text.rlike(pattern), _placed(zipped, kind, least)).otherwise(F.array().cast(FOUND))
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: The same with the text that was found.
+FOUND = "array<struct<start:int,kind:int,end:int,text:string>>"
+#: Matches in a run: places are summed up in each run, then over the runs, as growing one array would take the square of the matches.
+RUN = 128
 
 
 def _placed(zipped: Column, kind: str, least: int) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x["m"]).alias("end"))
+        length = F.coalesce(F.length(x["m"]), F.lit(0))
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + length).alias("end"), x["m"].alias("text"))
         out = F.when(x["m"].isNotNull() & (x["i"] >= least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((begin + F.coalesce(x["m"], F.lit(0))).alias("at"), out.alias("out"))
+        return F.struct((begin + length).alias("at"), out.alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def joined_runs(runs: Column) -> Column:
+        starts = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        moved = lambda run, at: F.transform(run["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["text"].alias("text")))
+        return F.flatten(F.zip_with(runs, starts, moved))
+
+    def runs_of(x: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, RUN))
+        return F.transform(cut, lambda run: F.aggregate(run, start, step))
+
+    # arrays of one, so that what is used twice is computed once
+    return F.flatten(F.transform(F.array(zipped), lambda x: F.flatten(F.transform(F.array(runs_of(x)), joined_runs))))
+
+
+def _bare(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"])).cast(SPANS)
+
+
+def _before(points: Column, marks: Column, inclusive: bool) -> Column:
+    """For each of ascending marks, how many points lie before it (or on it, if inclusive)."""
+    rows = F.concat(
+        F.transform(points, lambda p: F.struct(p.alias("v"), F.lit(int(not inclusive)).alias("o"), F.lit(-1).alias("k"))),
+        F.transform(marks, lambda m, k: F.struct(m.alias("v"), F.lit(int(inclusive)).alias("o"), k.alias("k"))),
+    )
+    # the k-th mark has k marks before it
+    placed = F.transform(F.sort_array(rows), lambda x, i: F.struct(x["k"].alias("k"), (i - x["k"]).alias("n")))
+    return F.transform(F.filter(placed, lambda x: x["k"] >= 0), lambda x: x["n"])
 
 
 def _normal_tail(z: Column) -> Column:
@@ -149,15 +184,18 @@ def _random_spans(df: DataFrame, n: Names) -> DataFrame:
     """Add n.added: spans of tokens that the battery finds random and no text. Needs n.body and n.base."""
     df = barrier(df, **{n.tokens: matches(F.col(n.body), TOKEN, "random")})
     # each token with its tests; those within or across a base span are part of it
-    apart = F.filter(n.tokens, lambda t: ~F.exists(n.base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(apart, lambda t: F.struct(t.alias("span"), battery(F.substring(F.col(n.body), t["start"] + 1, t["end"] - t["start"])).alias("test")))
+    begun = _before(F.transform(n.base, lambda b: b["start"]), F.transform(n.tokens, lambda t: t["end"]), False)
+    ended = _before(F.transform(n.base, lambda b: b["end"]), F.transform(n.tokens, lambda t: t["start"]), True)
+    df = barrier(df, **{n.met: F.when((F.size(n.base) > 0) & (F.size(n.tokens) > 0), F.zip_with(begun, ended, lambda b, e: b - e))})
+    apart = F.filter(n.tokens, lambda t, i: F.coalesce(F.get(n.met, i), F.lit(0)) == 0)
+    tested = F.transform(apart, lambda t: F.struct(t.alias("span"), battery(t["text"]).alias("test")))
     df = barrier(df, **{n.tested: tested})
     df = barrier(df, **{n.ranked: F.array_sort(F.transform(n.tested, lambda t: t["test"]["tail"]))})
     # Benjamini and Hochberg: the largest p that is at most its rank's share of the rate
     passing = F.filter(n.ranked, lambda p, i: p * F.size(n.ranked) <= FALSE_RATE * (i + 1))
     df = barrier(df, **{n.limit: F.array_max(passing)})
     chosen = F.filter(n.tested, lambda t: (t["test"]["p"] >= LEAST_P) & (t["test"]["tail"] <= F.coalesce(F.col(n.limit), F.lit(-1.0))))
-    return df.withColumn(n.added, F.transform(chosen, lambda t: t["span"]))
+    return df.withColumn(n.added, _bare(F.transform(chosen, lambda t: t["span"])))
 
 
 def count_of(spans: str, kind: str) -> Column:
@@ -182,7 +220,7 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base", every: str = "
     df = docs.drop(base, every).select("*", F.coalesce(F.col(text), F.lit("")).alias(n.body))
     body = F.col(n.body)
     patterns = F.concat(matches(body, ASSIGN, "assign", 2, ASSIGN_LEAST), matches(body, ACCESS, "access"), matches(body, HEX, "hex"))
-    df = _random_spans(barrier(df, **{n.base: F.sort_array(patterns)}), n)
+    df = _random_spans(barrier(df, **{n.base: F.sort_array(_bare(patterns))}), n)
     return n.drop_from(barrier(df, **{base: F.col(n.base), every: F.sort_array(F.concat(n.base, n.added))}))
 
 
