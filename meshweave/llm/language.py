@@ -7,21 +7,22 @@ character n-grams, from four letters down to one. A text's language is that of t
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
 from .training import bounded, crc_part
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of fitting: documents to learn from, and rows (words or n-grams, by language) that the model keeps.
+WORD = regex.compile(r"\p{L}+")
+#: Bounds of fitting: documents to learn from, and rows (words or n-grams) that the model keeps,
+#: shared out evenly among the languages.
 TRAIN_DOCS, MODEL_ROWS = 10_000, 150_000
 LONGEST = 4
 #: Words whose scores a worker remembers.
@@ -105,9 +106,11 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, model_rows: int = MODEL_R
     counted = map_arrow(sample.select("text", "lang"), count, "lang string, n int, gram string, c bigint", rows=1000)
     counted = scratch.save(counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     totals = counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()  # a few rows a language
-    top = counted.orderBy(F.desc("c"), "lang", "n", "gram").limit(model_rows).toArrow()  # model_rows rows
-    scratch.drop(counted)
     languages = sorted({r["lang"] for r in totals})
+    best = Window.partitionBy("lang").orderBy(F.desc("c"), "n", "gram")
+    each = max(1, model_rows // max(1, len(languages)))
+    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= each).orderBy("lang", "place").drop("place").toArrow()  # model_rows rows
+    scratch.drop(counted)
     column = {lang: i for i, lang in enumerate(languages)}
     place: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
     rows = np.empty(top.num_rows, np.int64)
