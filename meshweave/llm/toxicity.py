@@ -9,20 +9,20 @@ being toxic; a logistic model over a document's marginals gives its score, and r
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
 from .training import bounded, crc_part
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 #: Bounds of fitting: labelled documents that evidence is counted on, documents the chain learns from, features kept.
 EVIDENCE_DOCS, CHAIN_DOCS, FEATURES = 16_000, 3000, 20_000
 #: Least number of toxic documents with a feature, and least log odds of it.
@@ -188,12 +188,13 @@ def _fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def fit(rows: DataFrame, evidence_docs: int = EVIDENCE_DOCS, chain_docs: int = CHAIN_DOCS) -> Model | None:
     """Learn from rows (doc_id, text, toxic) of toxic 0 or 1; null if one of the labels doesn't occur.
 
-    Both samples are bounded, by a hash of doc_id. Of texts that share their longest line (copies), one counts.
+    Both samples are bounded, by a hash of doc_id. Of texts of one label that share their longest line
+    (copies), one counts.
     """
     scratch = Scratch(rows.sparkSession, "toxic")
     rows = rows.where("doc_id is not null and text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    longest = F.substring(F.aggregate(F.split("text", "\n"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)), 1, 60)
-    once = bounded(rows, "doc_id", evidence_docs).groupBy(longest.alias("line")).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("d")).select("d.*")
+    longest = F.aggregate(F.split("text", "\n"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    once = bounded(rows, "doc_id", evidence_docs).groupBy(F.xxhash64(longest).alias("line"), F.col("toxic").alias("mark")).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("d")).select("d.*")
     sample = scratch.save(once)
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
