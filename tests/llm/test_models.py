@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -120,13 +121,37 @@ def test_language(spark, docs, empty, clashing):
     assert 60 < len(held) < 140 and all(out[r[0]].lang_pred == r[2] for r in held)
     model = language.fit(df)
     assert model.predict("fensterlein schönes undurch")[0] == "de"  # words never seen: n-grams
-    for text in ("", " \n", "123 --- 456", "😀"):
+    for text in ("", " \n", "123 --- 456", "😀", "½ ② ²", "Ⅷ"):
         assert model.predict(text) == ("und", 0.0)
     assert language.identify(docs, model).count() == language.identify(clashing, model).count() == docs.count()
     assert language.identify(empty, model).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
 
 
+def test_backoff_scores_against_plain_counts(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aa ab aa", "x"), ("ab ba", "y"), ("abab", "y"), ("ca", "x")] * 3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    counts = {}
+    for _, text, lang in rows:
+        for w in text.split():
+            for n in range(language.LONGEST + 1):
+                for g in language.grams(w, n) if n else [w]:
+                    counts.setdefault(n, {}).setdefault(g, Counter())[lang] += 1
+    total = lambda n, lang: sum(c[lang] for c in counts[n].values())
+    log = lambda n, g, lang: math.log((counts[n][g][lang] + 0.1) / (total(n, lang) + 0.1 * len(counts[n]) + 1))
+
+    def plain(word, lang):
+        if word in counts[0]:
+            return log(0, word, lang)
+        for n in range(language.LONGEST, 0, -1):
+            if known := [g for g in language.grams(word, n) if g.strip() and g in counts[n]]:
+                return sum(log(n, g, lang) for g in known) / len(known)
+        return 0.0
+
+    for word in ("aa", "abab", "aba", "cab", "bax", "zzz"):
+        assert model.word_scores(word).tolist() == pytest.approx([plain(word, lang) for lang in ("x", "y")], abs=1e-6)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(21)
     good = [prose(rng, 150) for _ in range(12)]

@@ -27,6 +27,14 @@ def test_quality_counts(docs, rows, empty, clashing):
     assert more.select("_w_body", "lines").distinct().count() == 1 and more.where("quality.kept").count() == sum(r.kept for r in out)
 
 
+def test_closing_marks_of_any_number(spark):
+    prose = "\n".join(f"stone{k} river{k} garden{k} window{k} letter{k} cloud{k}." for k in range(20))
+    lines = ["she said so, and then she left" + end for end in (".", ".\"", "." + "\"" * 40, "!" + "’)" * 30 + "  ", ",", "" + "\"" * 9, ". )")]
+    out = quality.quality(spark.createDataFrame([(k, f"{prose}\n{x}") for k, x in enumerate(lines)], "doc_id bigint, text string")).collect()
+    kept = {r.doc_id: r.quality.clean_text.endswith(lines[r.doc_id]) for r in out}
+    assert [kept[k] for k in range(len(lines))] == [True, True, True, True, False, False, False]
+
+
 def test_repeated_windows_beyond_the_looked_up_few(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (3, 4, 60, 400)] + ["a a a", "a b c a b c", "a b"]
