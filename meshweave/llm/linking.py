@@ -67,8 +67,8 @@ def link_buckets(
     """Components of all links between nodes that share a bucket: rows (node, comp) of the nodes that have a link.
 
     members(bucket, node) says who is in which bucket; verify(pairs(a, b)) keeps the pairs that are links. In each
-    round every bucket compares some of its nodes (pivots) with all its others, but for those that the first round has
-    connected already; then the pivots leave. After the first round pivots are members outside the bucket's largest
+    round every bucket compares some of its nodes (pivots) with all its others, but for those that are connected
+    already; then the pivots leave. After the first round pivots are members outside the bucket's largest
     component: a pair of two components has one of these, so a bucket ends when none is left. A large bucket of one
     group thus costs about its size, and still no pair of two groups goes untested. Pivots increase sixteenfold each
     round.
@@ -97,12 +97,23 @@ def link_buckets(
             pivots = scratch.save(pivots)
             met = active.join(pivots, "bucket")
             rest = active.drop("largest").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        apart = F.col("comp") != F.col("pivot_comp")
-        pairs = met.where(apart if near is None else apart & near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = scratch.save(verify(pairs))
+        fits = F.lit(True) if near is None else near
+        apart = (F.col("comp") != F.col("pivot_comp")) & fits
+        pair = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+        if pivots_each == 1:
+            # one pivot for each node first: what is connected by that needn't meet the pivots of its other buckets
+            links = scratch.save(verify(met.where(apart).groupBy("node").agg(F.min("pivot").alias("pivot")).select(*pair)))
+            firsts = components(links, scratch)
+            known = met.select("bucket", "node", *carry, "pivot", *[f"pivot_{c}" for c in carry])
+            for side, name in (("node", "comp"), ("pivot", "pivot_comp")):
+                named = firsts.select(F.col("node").alias(side), F.col("comp").alias("_comp"))
+                known = known.join(named, side, "left").withColumn(name, F.coalesce("_comp", side)).drop("_comp")
+            met = known
+        found = scratch.save(verify(met.where(apart).select(*pair).distinct()))
         links = found if links is None else links.union(found)
         if pivots_each == 1:
-            old, labels = labels, components(found, scratch)
+            scratch.drop(firsts)
+            old, labels = labels, components(links, scratch)
             scratch.drop(old)
             rest = rest.join(labels, "node", "left").select("bucket", "node", *carry, F.coalesce("comp", "node").alias("comp"))
         rest = scratch.save(rest)
