@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..errors import InvalidState, ValueProblem
 from ..sources import codecs
 from ..sources.meshfile import MeshFileSource, extension, mesh_parts, open_piece
-from ..sources.vtkxml import DEFAULT_FORMAT, FORMATS, Grid, WriteOptions, write_grid, write_parallel_index, write_series_index
+from ..sources.vtkxml import DEFAULT_FORMAT, FORMATS, Grid, WriteOptions, file_stamp, series_steps, write_grid, write_parallel_index, write_series_index
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
@@ -226,9 +226,7 @@ class SeriesWriter:
             raise ValueProblem("a series' path ends in .pvd")
         self.options = options
         self.entries: dict[int, tuple[float, str]] = {}
-        if os.path.exists(path):
-            from ..sources.vtkxml import series_steps
-
+        if file_stamp(path):
             self.entries = {k: (t, os.path.basename(f)) for k, (t, f) in enumerate(series_steps(path))}
 
     def write_step(self, number: int, time: float, mesh: Mesh) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..errors import FileProblem, NotImplementedHere, ValueProblem
 from ..functions.cells import CELL_TYPES
-from .vtkxml import FORMATS, Array, Piece, VtkFile, parallel_pieces, series_steps, structured_indices
+from .vtkxml import FORMATS, Array, Piece, VtkFile, file_stamp, parallel_pieces, series_steps, structured_indices
 
 TABLES = ("points", "cells", "point_data", "cell_data", "meta_data", "field_info", "grid_info", "steps")
 _ROWS = 1 << 16
@@ -83,15 +83,14 @@ def mesh_parts(path: str, step: int = 0, time: float | None = None, group_times:
 
 
 @functools.lru_cache(maxsize=64)
-def _parsed(path: str, stamp: float) -> VtkFile:
+def _parsed(path: str, stamp: tuple[int, int] | None) -> VtkFile:
     return VtkFile(path)
 
 
 def open_piece(part: MeshPart) -> tuple[VtkFile, Piece]:
     """The file and the piece of a part."""
     path, _, number = part.file.partition("#")
-    stamp = os.path.getmtime(path) if os.path.exists(path) else 0.0
-    file = _parsed(path, stamp)
+    file = _parsed(path, file_stamp(path))
     return file, file.pieces[int(number or 0)]
 
 

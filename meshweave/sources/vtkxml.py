@@ -43,6 +43,15 @@ def open_file(path: str, mode: str = "rb"):
     return open(path.removeprefix("file:"), mode)
 
 
+def file_stamp(path: str) -> tuple[int, int] | None:
+    """Time of change and size of a file of any file system, which tell versions of it apart; None if there is none."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    info = system.get_file_info(inner)
+    return (info.mtime_ns or 0, info.size or 0) if info.type != fs.FileType.NotFound else None
+
+
 @dataclass
 class Array:
     """A DataArray's header: where its values are and how they are stored."""
@@ -404,11 +413,11 @@ class _Writer:
 
 
 class _replacing:
-    """A file that takes its name when it is complete."""
+    """A file that takes its name when it is complete (in stores without renaming, by a copy)."""
 
     def __init__(self, path: str):
         self.path, self.local = path, "://" not in path
-        self.part = f"{path}._tmp-{uuid.uuid4().hex}" if self.local else path
+        self.part = f"{path}._tmp-{uuid.uuid4().hex}"
 
     def __enter__(self):
         if self.local:
@@ -418,11 +427,18 @@ class _replacing:
 
     def __exit__(self, kind, *_):
         self.file.close()
-        if self.local:
+        if not self.local:
+            from pyarrow import fs
+
+            system, part = fs.FileSystem.from_uri(self.part)
             if kind is None:
-                os.replace(self.part, self.path)
+                system.move(part, fs.FileSystem.from_uri(self.path)[1])
             else:
-                os.remove(self.part)
+                system.delete_file(part)
+        elif kind is None:
+            os.replace(self.part, self.path)
+        else:
+            os.remove(self.part)
 
 
 def _three(values: np.ndarray) -> np.ndarray:

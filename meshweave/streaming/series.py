@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceStreamReader
 
 from ..sources.meshfile import MeshPart, mesh_parts, read_part
-from ..sources.vtkxml import series_steps
+from ..sources.vtkxml import file_stamp, series_steps
 
 
 class SeriesStreamReader(DataSourceStreamReader):
@@ -29,7 +28,7 @@ class SeriesStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         # a collection that is being rewritten may be missing for a moment; steps never get fewer
-        if os.path.exists(self.path):
+        if file_stamp(self.path):
             self.known = max(self.known, len(series_steps(self.path)))
         return {"step": self.known}
 

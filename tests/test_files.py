@@ -254,3 +254,17 @@ def test_benchmark_script_knows_its_queries():
     from meshweave.plans.catalog import QUERIES
 
     assert set(bench.HEADLINE) <= set(QUERIES)
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    path = f"file://{tmp_path}/g.vtu"
+    for cells in ([3, 2], [5, 4]):  # written again: headers of the first version are no longer used
+        assert write_mesh(with_fields(image_grid(spark, [1.0, 1.0], cells)), path) == path
+        assert load_table(spark, path, "cells").count() == cells[0] * cells[1]
+        assert os.listdir(tmp_path) == ["g.vtu"]
+    series = f"file://{tmp_path}/s.pvd"
+    for k in range(2):  # a new writer knows earlier steps
+        SeriesWriter(series).write_step(k, 0.5 * k, with_fields(image_grid(spark, [1.0, 1.0], [3, 2])))
+    assert [t for t, _ in series_steps(series)] == [0.0, 0.5]
+    reader = SeriesStreamReader(series, "steps", load_table(spark, series, "steps").schema)
+    assert reader.latestOffset() == {"step": 2}
