@@ -24,7 +24,8 @@ _RUN = 4096
 def shard(docs: DataFrame, shards: int = 16, seed: int = 1, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Put every record into one of `shards` shards: rows (doc, shard, slot), doc being the input row as a struct.
 
-    The order is uniformly random under the seed and fixed by it, the records and how their files are split. Null
+    The order is uniformly random under the seed and fixed by it, the records, how their files are split and the number
+    of shuffle partitions (buckets follow it). Null
     texts weigh nothing; repeated rows are records of their own, and as each draws its own number, any number of them
     spreads over all buckets; an empty table gives an empty table; columns of any name stay apart in doc.
     """
