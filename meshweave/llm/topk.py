@@ -3,7 +3,8 @@
 Distances of every vector to a few pivots are computed once. For a query, the triangle inequality turns the two rows
 of distances into a lower bound of its distance to each candidate, hence an upper bound of their inner product; the
 largest of the bounds counts. Candidates are scored in the order of their bounds until none left can reach the k-th
-best score. Queries and candidates meet block by block.
+best score, which is known from below from the start: by the sample that pivots are chosen from, then by the blocks that
+a task has been through. Queries and candidates meet block by block.
 """
 
 from __future__ import annotations
@@ -20,9 +21,14 @@ from .common import Scratch
 
 #: Vectors from which pivots are chosen (those of smallest hash), and rows in a block.
 SAMPLE, BLOCK = 2000, 2048
-#: Tasks over which each block of queries is dealt.
-SALTS = 24
+#: Tasks over which each block of queries is dealt at least, and blocks of candidates that make another one necessary.
+SALTS, EACH_SALT = 24, 64
+#: Blocks of queries that travel together: candidates are sent to each such group once.
+GROUP = 8
 _FIRST_CHUNK = 64
+_LOWEST = np.iinfo(np.int64).min
+#: Blocks of queries whose scores a task remembers.
+_REMEMBERED = 1000
 
 
 def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
@@ -66,8 +72,8 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def search_block(query: np.ndarray, query_far: np.ndarray, ids: np.ndarray, own: int, q: np.ndarray, far: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best of a block for one query: ids and scores, and how many candidates were scored.
+def search_block(query: np.ndarray, query_far: np.ndarray, ids: np.ndarray, own: int, q: np.ndarray, far: np.ndarray, lengths: np.ndarray, k: int, least: int = _LOWEST) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best of a block for one query that reach `least`: ids and scores, and how many candidates were scored.
 
     `lengths` holds the candidates' squared lengths. Ties go to smaller ids.
     """
@@ -79,13 +85,21 @@ def search_block(query: np.ndarray, query_far: np.ndarray, ids: np.ndarray, own:
     order = order[ids[order] != own]
     best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, chunk = 0, _FIRST_CHUNK
-    while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
+    while at < len(order) and bound[order[at]] >= least and (len(best) < k or bound[order[at]] >= best[-1]):
         now = order[at : at + chunk]
         best_id, best = np.r_[best_id, ids[now]], np.r_[best, q[now] @ query]
         top = np.lexsort((best_id, -best))[:k]
         best_id, best = best_id[top], best[top]
         at, chunk = at + chunk, chunk * 2
-    return best_id, best, min(at, len(order))
+    enough = best >= least
+    return best_id[enough], best[enough], min(at, len(order))
+
+
+def known_scores(ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """What each query's k-th best score is at least, by a sample of the candidates."""
+    scores = q @ sample.T
+    scores[ids[:, None] == sample_ids] = _LOWEST
+    return np.sort(scores, 1)[:, -k] if sample.shape[0] >= k else np.full(len(ids), _LOWEST)
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, n_pivots: int = 32, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -99,20 +113,28 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     scratch = Scratch(vectors.sparkSession, "topk")
     rows = scratch.save(quantised(vectors, scale, vec_id, embedding))
     width = rows.agg(F.max(F.size("q"))).first()[0] or 0
-    sample = rows.orderBy(F.xxhash64("vec_id", "q")).limit(SAMPLE).select("q").collect()  # SAMPLE rows
-    matrix = np.zeros((len(sample), width))
+    sample = rows.orderBy(F.xxhash64("vec_id", "q")).limit(SAMPLE).collect()  # SAMPLE rows
+    sample_ids, matrix = np.array([r["vec_id"] for r in sample], np.int64), np.zeros((len(sample), width), np.int64)
     for i, r in enumerate(sample):
         matrix[i, : len(r["q"])] = r["q"]
-    pivots = choose_pivots(matrix, n_pivots)
-    # so many rows to a task that each of the salts below has work, then in blocks of BLOCK at most
-    candidates = scratch.save(_blocks(rows.repartition(2 * SALTS, F.xxhash64("vec_id")), pivots, width, BLOCK))
-    queries = scratch.save(_blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(), pivots, width, BLOCK))
-    n = max(1, queries.count())
+    pivots = choose_pivots(matrix.astype(np.float64), n_pivots)
+    # counts follow the table's size; small tables are dealt out so that each of the salts has work
+    n_blocks = -(-rows.count() // BLOCK)
+    n_salts = max(SALTS, -(-n_blocks // EACH_SALT))
+    candidates = scratch.save(_blocks(rows.repartition(2 * n_salts), pivots, width, BLOCK))
+    asked = scratch.save(rows.where(F.col("vec_id") % every == 0).dropDuplicates())
+    n_asked = -(-asked.count() // BLOCK)
+    queries = scratch.save(_blocks(asked.repartition(max(1, n_asked)), pivots, width, BLOCK))
+    n = max(1, -(-n_asked // GROUP))
+    scratch.drop(rows, asked)
     # each block of queries goes to every salt, each block of candidates to every group of queries' blocks
-    dealt = queries.select(F.pmod("block", F.lit(n)).alias("group"), F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("salt"), *[F.col(c).alias(f"query_{c}") for c in ("ids", "q", "far")])
-    met = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("group"), F.pmod("block", F.lit(SALTS)).cast("int").alias("salt"), "ids", "q", "far").join(dealt, ["group", "salt"])
+    salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
+    dealt = queries.select(F.pmod("block", F.lit(n)).cast("int").alias("group"), F.explode(salts).alias("salt"), *[F.col(c).alias(f"query_{c}") for c in ("ids", "q", "far")])
+    groups = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("group")
+    met = candidates.select(groups, F.pmod("block", F.lit(n_salts)).cast("int").alias("salt"), "ids", "q", "far").join(dealt, ["group", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[tuple[bytes, bytes], np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
@@ -120,7 +142,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 far, query_far = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("far", ids), ("query_far", query_ids)))
                 wide = q.astype(np.float64)
                 lengths = (wide * wide).sum(1)
-                got = [(own, *search_block(vector, f, ids, own, q, far, lengths, k)[:2]) for own, vector, f in zip(query_ids.tolist(), query_q, query_far, strict=True)]
+                block = row["query_ids"], xxhash.xxh3_128_digest(row["query_q"])
+                if block not in reached:
+                    if len(reached) >= _REMEMBERED:
+                        reached.clear()
+                    reached[block] = known_scores(query_ids, query_q, sample_ids, matrix, k)
+                known = reached[block]
+                got = [(own, *search_block(vector, f, ids, own, q, far, lengths, k, least)[:2]) for own, vector, f, least in zip(query_ids.tolist(), query_q, query_far, known.tolist(), strict=True)]
+                # k candidates of one block that reach a score are k of the whole table's
+                reached[block] = np.array([max(s, int(b[-1])) if len(b) == k else s for s, (_, _, b) in zip(known.tolist(), got, strict=True)], np.int64)
                 counts = [len(best) for _, _, best in got]
                 keys = [xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in query_q]
                 columns = [np.repeat(query_ids, counts), np.repeat(np.array(keys, np.int64), counts), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in ([i for _, i, _ in got], [b for _, _, b in got]))]

@@ -56,6 +56,28 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), 10).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Repeated rows are a query once and candidates each, ties go to smaller ids, clashing columns are no matter."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "EACH_SALT", 1)
+    monkeypatch.setattr(topk, "GROUP", 1)
+    monkeypatch.setattr(topk, "SAMPLE", 30)
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.integers(-2, 3, size=3).astype(float).tolist()) for i in range(700)]
+    vectors += [vectors[100], vectors[100], *vectors[:50]]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    for name in ("q", "block", "ids", "far", "group", "salt", "score", "rank", "query_id", "query_key"):
+        df = df.withColumn(name, F.lit("own"))
+    assert sorted(tuple(r) for r in topk.top_k(df, 10, every=20).collect()) == sorted(set(best(vectors, 10, 20)))
+
+
+def test_known_scores():
+    ids, q = np.array([5, 7]), np.array([[1, 0], [0, 2]])
+    sample_ids, sample = np.array([5, 6, 8]), np.array([[9, 9], [3, 4], [1, 7]])
+    assert topk.known_scores(ids, q, sample_ids, sample, 2).tolist() == [1, 14]
+    assert topk.known_scores(ids, q, sample_ids, sample, 4).tolist() == [topk._LOWEST] * 2
+
+
 def test_pivots_save_work():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 50
