@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Buckets of more than this share of all members (one in HOT), and of LEAST_HOT members, are joined without a shuffle.
+HOT, LEAST_HOT = 1000, 500
+
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """The component of every node of links(a, b): rows (node, comp), comp being the component's smallest node.
@@ -36,11 +39,24 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def join_buckets(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """members joined with keys(bucket, n, ...), n being the bucket's number of members.
+
+    Buckets of more than a HOT-th of all members, fewer than HOT therefore, are broadcast, so that their members are
+    joined where they lie; a task of the shuffle for the others gets no group larger than that share.
+    """
+    most = max(LEAST_HOT, members.count() // HOT)
+    hot, cold = keys.where(F.col("n") > most), keys.where(F.col("n") <= most)
+    rest = members.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti")
+    return rest.join(cold.hint("shuffle_hash"), "bucket").union(members.join(F.broadcast(hot), "bucket")).drop("n")
+
+
 def _with_pivots(members: DataFrame, carry: tuple[str, ...], scratch: Scratch) -> DataFrame:
     """Members of buckets that hold two nodes or more, each its own component, with the bucket's smallest node (pivot)."""
     carried = [F.min_by(c, "node").alias(f"pivot_{c}") for c in carry]
-    pivots = scratch.save(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), *carried).where("pivot < last").drop("last"))
-    rows = members.join(pivots.hint("shuffle_hash"), "bucket")
+    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.max("node").alias("last"), *carried)
+    pivots = scratch.save(pivots.where("pivot < last").drop("last"))
+    rows = join_buckets(members, pivots)
     out = scratch.save(rows.select("bucket", "node", *carry, F.col("node").alias("comp"), "pivot", F.col("pivot").alias("pivot_comp"), *[f"pivot_{c}" for c in carry]))
     scratch.drop(pivots)
     return out
@@ -48,9 +64,10 @@ def _with_pivots(members: DataFrame, carry: tuple[str, ...], scratch: Scratch) -
 
 def _beside_largest(members: DataFrame, scratch: Scratch) -> DataFrame:
     """The same with each bucket's largest component, in the column `largest`."""
-    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    keys = scratch.save(counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps"))
-    out = scratch.save(members.join(keys, "bucket"))
+    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    keys = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.count("*").alias("comps"), F.sum("m").alias("n"))
+    keys = scratch.save(keys.where("comps > 1").drop("comps"))
+    out = scratch.save(join_buckets(members, keys))
     scratch.drop(keys)
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_small, map_arrow
-from .linking import link_buckets
+from .linking import join_buckets, link_buckets
 
 #: 32 bands of 5 minima: a pair of similarity 0.8 shares no band once in 300,000, one of 0.2 shares one once in 100.
 BANDS, ROWS = 32, 5
@@ -143,7 +143,7 @@ def _between(left: list[dict], right: list[dict], percent: int) -> Iterator[tupl
         yield left[i]["node"], right[j]["node"]
 
 
-def _block_links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(active: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All links between different components that share a bucket of active(bucket, node, comp).
 
     In each bucket, members outside its largest component meet all its members, in blocks of about BLOCK; a block's
@@ -152,9 +152,9 @@ def _block_links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     active = active.select("bucket", "node", "comp")
     counts = active.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    whole = counts.groupBy("bucket").agg(F.max_by("comp", "n").alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
+    whole = counts.groupBy("bucket").agg(F.max_by("comp", "n").alias("largest"), F.sum("n").alias("n"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    rows = active.join(whole, "bucket").withColumns({"lefts": blocks("few"), "rights": blocks("all")}).join(sets, "node")
+    rows = join_buckets(active, scratch.save(whole)).withColumns({"lefts": blocks("few"), "rights": blocks("all")}).join(sets, "node")
     member = F.collect_list(F.struct("node", "comp", "shingles"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = rows.where("comp <> largest").groupBy("bucket", part("lefts").alias("i"), "rights").agg(member.alias("left"))
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         return near.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
 
     members = chosen.select("node", F.explode("bands").alias("bucket"))
-    labels = link_buckets(members, verify, scratch, prepare, lambda active: _block_links(active, tables["sets"], percent))
+    labels = link_buckets(members, verify, scratch, prepare, lambda active: _block_links(active, tables["sets"], percent, scratch))
     grouped = scratch.save(classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     lowest = scratch.save(grouped.groupBy("comp").agg(F.min("first_id").alias("component_id")))
     ids = scratch.save(grouped.join(lowest, "comp").select("node", "component_id"))
