@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import ValueProblem
 from ..functions import arrays
 from ..functions.cells import cell_type_table
-from ..functions.layout import flat_index_first_fastest, flat_index_last_fastest, inverse_index
+from ..functions.layout import Layout, flat_index_first_fastest, flat_index_last_fastest, inverse_index
 from ..operators import grids, pieces, topology, transforms
-from ..operators.mesh import Mesh, load_table, write_mesh
+from ..operators.mesh import Mesh, load_table, to_numpy, write_mesh
+from ..sources import codecs
 from ..sources.scratch import scratch_dir
 from . import tables
 from .convert import convert, info
@@ -531,3 +536,98 @@ def meta_data(spark, sf_dir):
 @_query("SELECT p_brand AS piece_base, 'mesh-' || p_partkey AS file FROM part")
 def piece_file_names(spark, sf_dir):
     return tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("piece_base"), pieces.piece_file_name(F.lit("mesh"), F.col("p_partkey")).alias("file"))
+
+
+# --- layouts, options and defaults ---
+
+
+@_query("SELECT r_regionkey, list_transform(range(0, 5), lambda j: (j = r_regionkey)::INTEGER::DOUBLE) AS axis FROM region")
+def standard_basis(spark, sf_dir):
+    basis = F.array(*[F.array(*map(F.lit, axis)) for axis in grids.standard_basis(5)])
+    return tables.table(spark, sf_dir, "region").select("r_regionkey", F.get(basis, F.col("r_regionkey").cast("int")).alias("axis"))
+
+
+@_query("SELECT s_suppkey, [s_acctbal <= 0, -s_acctbal <= 0, s_nationkey <= 0] AS backwards FROM supplier")
+def axis_orientation(spark, sf_dir):
+    spacing = F.array(F.col("s_acctbal").cast("double"), -F.col("s_acctbal").cast("double"), F.col("s_nationkey").cast("double"))
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey", grids.axis_orientation(spacing).alias("backwards"))
+
+
+@_query("SELECT n_name, (n_nationkey % 5)::BIGINT AS i, (n_nationkey // 5)::BIGINT AS j FROM nation")
+def index_range(spark, sf_dir):
+    """The range of all indices of a layout, in order, beside the entities that it numbers."""
+    indices = spark.createDataFrame([(flat, *index) for flat, index in enumerate(Layout((5, 5)).indices())], "n_nationkey bigint, i bigint, j bigint")
+    return tables.table(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("bigint")).join(indices, "n_nationkey").select("n_name", "i", "j")
+
+
+@_query("SELECT count(*) * 64 AS entries, 64::BIGINT AS below, 8::BIGINT AS last, count(*) * 8 * 4 AS replaced FROM embeddings")
+def layout_algebra(spark, sf_dir):
+    layout = Layout((tables.table(spark, sf_dir, "embeddings").count(), 8, 8))
+    row = (layout.entries(), layout.sub_layout().entries(), layout.entries(2), layout.with_sub_layout((4,)).entries())
+    return spark.createDataFrame([row], "entries bigint, below bigint, last bigint, replaced bigint")
+
+
+@_query(f"SELECT vec_id, list_max(v) AS largest, len(v)::BIGINT AS n FROM ({_V})")
+def field_export(spark, sf_dir):
+    """Fields exported to numpy where their rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = to_numpy(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.max(1)), pa.array(np.full(len(v), v.shape[1]))], names=["vec_id", "largest", "n"])
+
+    return _vectors(spark, sf_dir).mapInArrow(run, "vec_id bigint, largest double, n bigint")
+
+
+@_query("SELECT o_orderkey, format('{:016x}', o_orderkey) AS big_endian FROM orders")
+def byte_swap(spark, sf_dir):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = batch.column(0).to_numpy().astype(codecs.dtype_of("Int64", "BigEndian")).tobytes().hex()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([said[at : at + 16] for at in range(0, len(said), 16)], pa.string())], names=["o_orderkey", "big_endian"])
+
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey").mapInArrow(run, "o_orderkey bigint, big_endian string")
+
+
+@_query(
+    "SELECT encoder, data_format, (encoder, data_format) NOT IN (('raw', 'inlined'), ('ascii', 'appended')) AS allowed "
+    "FROM (VALUES ('ascii'), ('base64'), ('raw')) e(encoder), (VALUES ('inlined'), ('appended')) f(data_format)"
+)
+def allowed_combinations(spark, sf_dir):
+    def allowed(encoder: str, data_format: str) -> bool:
+        try:
+            codecs.check_combination(encoder, data_format, None)
+        except ValueProblem:
+            return False
+        return True
+
+    rows = [(e, f, allowed(e, f)) for e, f in itertools.product(("ascii", "base64", "raw"), ("inlined", "appended"))]
+    return spark.createDataFrame(rows, "encoder string, data_format string, allowed boolean")
+
+
+@_query("SELECT * FROM (VALUES (0, 'point', 'partkey'), (0, 'cell', 'custkey'), (0, 'cell', 'orderkey'), (0, 'cell', 'totalprice'), (1, 'point', 'pair')) t(rank, assoc, name)")
+def rank_of_fields(spark, sf_dir):
+    path = write_mesh(tables.order_mesh(spark, sf_dir), f"{scratch_dir(spark)}/orders.vtu")
+    fields = info(spark, path)[1].where("assoc <> 'meta'")
+    ranked = [transforms.fields_of_rank(fields, rank).select(F.lit(rank).alias("rank"), "assoc", "name") for rank in (0, 1, 2)]
+    return ranked[0].union(ranked[1]).union(ranked[2])
+
+
+@_query("SELECT * FROM (VALUES ('PointData', 'partkey', 'pair'), ('CellData', 'custkey', '')) t(section, scalars, vectors)")
+def active_arrays(spark, sf_dir):
+    path = write_mesh(tables.order_mesh(spark, sf_dir), f"{scratch_dir(spark)}/orders.vtu")
+    named = lambda rank: F.regexp_extract("value", f'{rank}="([^"]*)"', 1)
+    lines = spark.read.text(path).where(F.col("value").rlike("^<(PointData|CellData)[ >]"))
+    return lines.select(F.regexp_extract("value", r"^<(\w+)", 1).alias("section"), named("Scalars").alias("scalars"), named("Vectors").alias("vectors"))
+
+
+@_query(f"SELECT kind, ext, (SELECT 20 * {_NY}) AS n_points FROM (VALUES ('image', 'vti'), ('rectilinear', 'vtr'), ('structured', 'vts')) t(kind, ext) UNION ALL SELECT 'unstructured', 'vtu', count(*) FROM part")
+def default_formats(spark, sf_dir):
+    """Written under a name without extension, each kind of grid takes its own format."""
+    meshes = [*(tables.part_grid(spark, sf_dir, kind) for kind in ("image", "rectilinear", "structured")), tables.order_mesh(spark, sf_dir)]
+    rows = []
+    for mesh in meshes:
+        path = write_mesh(mesh, f"{scratch_dir(spark)}/{mesh.kind}")
+        rows.append((mesh.kind, path.rpartition(".")[2], info(spark, path)[0].first()["n_points"]))
+    return spark.createDataFrame(rows, "kind string, ext string, n_points bigint")
